@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 1000, 100
 LEVELS = ("whole", "section", "paragraph", "sentence", "word", "character")
 #: Fixed value: Unicode's White_Space characters.
-WS = r"\t-\r \x85\xa0  -     　"
+WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What one unit of each level looks like; every pattern tiles the text, separators staying with what they end.
 UNITS = {
     "section": re.compile(r"(?s).+?(?:\f|\n[^\S\n]*\n(?:[^\S\n]*\n)+|\n(?=#{1,6} )|\n[^\S\n]*\n(?=#{1,6} )|\Z)"),
