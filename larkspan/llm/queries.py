@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import bpe, sitelines, splitting
+from larkspan.llm import bpe, neardup, sitelines, splitting
 from larkspan.runtime import table
 
 
+def _near(spark: SparkSession, sf_dir: str):
+    return neardup.similar_classes(table(spark, sf_dir, "indexed_docs"), k=3, threshold=0.7, min_words=30)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(*_near(spark, sf_dir))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(*_near(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, sf_dir, "indexed_docs"))
 
