@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import bpe, neardup, sitelines, splitting
+from larkspan.llm import aqknn, bpe, neardup, sitelines, splitting
 from larkspan.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aqknn.pairs(aqknn.nearest(table(spark, sf_dir, "chunk_vectors")))
+
+
+def p1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aqknn.nearest(table(spark, sf_dir, "embeddings"), least=0.5)
+
+
 def _near(spark: SparkSession, sf_dir: str):
     return neardup.similar_classes(table(spark, sf_dir, "indexed_docs"), k=3, threshold=0.7, min_words=30)
 
