@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspan.llm import aqknn, bpe, neardup, sitelines, splitting
+from larkspan.llm import aqknn, bpe, langid, maincontent, neardup, sitelines, splitting
 from larkspan.runtime import table
 
 
@@ -32,6 +33,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, sf_dir, "indexed_docs"))
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r["code"] for r in table(spark, sf_dir, "languages").select("code").collect()]  # a fixed table of a few codes
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "lang_samples"))
+    return langid.wrong_labels(table(spark, sf_dir, "indexed_docs"), model, _codes(spark, sf_dir))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "lang_samples"))
+    return langid.identify(table(spark, sf_dir, "indexed_docs"), model).withColumn("confidence", F.round("confidence", 3))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.main_lines(table(spark, sf_dir, "indexed_docs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(table(spark, sf_dir, "chunk_meta"))
 
