@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import aqknn, bpe, langid, maincontent, neardup, sitelines, splitting
+from larkspan.llm import aqknn, bpe, langid, maincontent, mixing, neardup, sitelines, splitting, subjects
 from larkspan.runtime import table
 
 
@@ -59,6 +59,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), keep=["doc_id", "source"])
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = [r["subject"] for r in table(spark, sf_dir, "subjects").select("subject").orderBy("subject").collect()]  # a fixed table of eight
+    lexicon = subjects.fit(docs, table(spark, sf_dir, "subject_labels"), names)
+    return subjects.assign(docs, lexicon).select("doc_id", "subject").distinct()
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
