@@ -1 +1 @@
-
+"""Query language and search schema: pure Python, no session needed."""
