@@ -61,4 +61,4 @@ def entry(name: str, sql: str | None = None, uses: str = ""):
 
 
 def load() -> None:
-    from larkspan.catalogue import base, history, ingest, scalars, searching, semantic  # noqa: F401
+    from larkspan.catalogue import history, ingest, scalars, searching, semantic  # noqa: F401

@@ -43,8 +43,13 @@ def embedding_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"([{CJK}]|(?:(?![{CJK}])[\p{{L}}\p{{N}}])+|[^\s\p{{L}}\p{{N}}])"))
 
 
+def stripped(c: Column) -> Column:
+    """Without leading and trailing white space, no-break spaces included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def strip_invisible(c: Column) -> Column:
@@ -55,12 +60,12 @@ def strip_invisible(c: Column) -> Column:
 
 def combine_texts(parts: list[Column]) -> Column:
     """Trimmed, without blank and repeated ones, a blank line between them."""
-    trimmed = F.transform(F.array(*parts), lambda x: F.trim(x))
+    trimmed = F.transform(F.array(*parts), stripped)
     return F.array_join(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))), "\n\n")
 
 
 def clean_tags(tags: Column, distinct: bool = True) -> Column:
-    kept = F.filter(F.transform(tags, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    kept = F.filter(F.transform(tags, stripped), lambda x: x.isNotNull() & (x != ""))
     return F.array_distinct(kept) if distinct else kept
 
 
