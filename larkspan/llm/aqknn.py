@@ -8,8 +8,8 @@ codewords scores the codes of all others by lookups; pairs whose approximate cos
 reranked exactly from the original vectors.
 
 What keeps it scalable: exact copies are one class and only its first vector is searched; cells are picked deeper as
-the collection grows, so their size stays level, and cells that the sample shows to be crowded are opened further;
-codes travel as packed arrays, vectors only for pairs that pass the lookup; the codebooks (256 KB) and the sample
+the collection grows, so their size stays level, and cells that the sample shows to be crowded are opened further; one
+that can't be opened is searched by blocks of its members, each block a task's work of its own; codes travel as packed arrays, vectors only for pairs that pass the lookup; the codebooks (256 KB) and the sample
 (``SAMPLE`` vectors) have a fixed size.
 
 Defined results: null vectors, vectors of another length, with a null, NaN or infinite number, or all zero are not
@@ -36,6 +36,8 @@ SAMPLE, WORDS, LEVELS, ROUNDS = 8192, 64, 16, 6
 PROBES, BEAM = (3, 5, 8, 12), 2
 #: Vectors in a cell aimed at on average, and estimated size from which a cell is opened further.
 CELL, CROWDED = 600, 6000
+#: Candidates of a vector in a cell that go on to exact reranking: those with the highest approximate cosine.
+SHORTLIST = 32
 #: How far below the threshold an approximate cosine may lie.
 SLACK = 0.22
 
@@ -79,8 +81,8 @@ def train(x: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    def __init__(self, books: np.ndarray, depth: int, closed: frozenset[int] = frozenset()):
-        self.books, self.depth, self.closed = books, depth, closed
+    def __init__(self, books: np.ndarray, depth: int, closed: frozenset[int] = frozenset(), crowds: dict[int, int] | None = None):
+        self.books, self.depth, self.closed, self.crowds = books, depth, closed, crowds or {}
         self.levels, self.words, d = books.shape
         self.flat = books.reshape(-1, d)
         gram = 2 * self.flat @ self.flat.T
@@ -143,33 +145,61 @@ class Codec:
             rows.append(r), names.append(c[r, p])
         return np.concatenate(rows), np.concatenate(names)
 
+    def blocked(self, keys: np.ndarray, rows: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, asking): a crowd becomes one cell for each block of its members, who ask in their own and are
+        there to be found in all."""
+        asking = np.ones(len(rows), np.int8)
+        for cell, n in self.crowds.items():
+            at = np.flatnonzero(names == cell)
+            if not len(at):
+                continue
+            mine = (keys[rows[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)
+            block = np.tile(np.arange(n), len(at))
+            rest = np.delete(np.arange(len(rows)), at)
+            # names of blocks are negative: no cell has such a name
+            new = -(np.int64(cell) * n + block) - 1
+            r = np.repeat(rows[at], n)
+            rows, names, asking = np.r_[rows[rest], r], np.r_[names[rest], new], np.r_[asking[rest], (block == np.repeat(mine, n)).astype(np.int8)]
+        return rows, names, asking
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
         out = self.books[0][codes[:, 0]].copy()
         for m in range(1, self.levels):
             out += self.books[m][codes[:, m]]
         return out
 
-    def near(self, codes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs i < j of the coded vectors with an approximate cosine of at least ``least``, by table lookups."""
-        n, found = len(codes), []
+    def near(self, codes: np.ndarray, asking: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) of the coded vectors with an approximate cosine of at least ``least``, i asking, by table
+        lookups; of each i at most the SHORTLIST best."""
+        out_i, out_j = [], []
         decoded = self.decode(codes)
         norm = np.maximum(np.linalg.norm(decoded, axis=1), 1e-9)
         at = codes.astype(np.intp) + np.arange(self.levels) * self.words
-        for lo in range(0, n - 1, 512):
-            hi = min(lo + 512, n)
-            tables = ((decoded[lo:hi] / norm[lo:hi, None]) @ self.flat.T).T.copy()  # (level and word, query)
-            for start in range(lo, n, 4096):
+        asks = np.flatnonzero(asking)
+        for lo in range(0, len(asks), 512):
+            who = asks[lo : lo + 512]
+            tables = ((decoded[who] / norm[who, None]) @ self.flat.T).T.copy()  # (level and word, query)
+            found = []
+            for start in range(0, len(codes), 4096):
                 other = at[start : start + 4096]
                 score = tables[other[:, 0]]
                 for m in range(1, self.levels):
                     score += tables[other[:, m]]
-                j, i = np.nonzero(score >= least * norm[start : start + 4096, None])
-                i, j = i + lo, j + start
-                ok = i < j
-                found.append((i[ok], j[ok]))
-        if not found:
+                score /= norm[start : start + 4096, None]
+                j, i = np.nonzero(score >= least)
+                keep = j + start != who[i]
+                found.append((i[keep], j[keep] + start, score[j[keep], i[keep]]))
+            i, j, v = (np.concatenate(x) for x in zip(*found))
+            if len(i) > SHORTLIST:
+                o = np.lexsort((j, -v, i))
+                i, j = i[o], j[o]
+                first = np.searchsorted(i, i)
+                keep = np.arange(len(i)) - first < SHORTLIST
+                i, j = i[keep], j[keep]
+            out_i.append(who[i]), out_j.append(j)
+        if not out_i:
             return np.array([], np.int64), np.array([], np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def plan_depth(n: int) -> int:
@@ -180,16 +210,19 @@ def plan_depth(n: int) -> int:
 
 
 def plan(books: np.ndarray, sample: np.ndarray, n: int) -> Codec:
-    """The codec for ``n`` vectors: cells of the depth that keeps them level, crowded ones (by the sample) opened."""
+    """The codec for ``n`` vectors: cells of the depth that keeps them level, crowded ones (by the sample) opened, and
+    blocks for those that stay crowded."""
     codec = Codec(books, plan_depth(n))
-    for _ in range(4):
+    scale = n / max(len(sample), 1)
+    for _ in range(5):
         _, name = codec.filed(codec.encode(sample)[1])
         cells, seen = np.unique(name, return_counts=True)
-        crowded = cells[seen * (n / max(len(sample), 1)) > CROWDED]
-        crowded = frozenset(int(c) for c in crowded if codec.level_of(int(c)) < LEVELS - 4 and np.sum(cells == c))
-        if not crowded or n <= CROWDED:
+        crowds = {int(c): int(k * scale) for c, k in zip(cells, seen) if k * scale > CROWDED and n > CROWDED}
+        open_ = frozenset(c for c in crowds if codec.level_of(c) < codec.depth + 3)
+        if not open_:
+            codec.crowds = {c: k // (CROWDED // 2) + 1 for c, k in crowds.items()}
             break
-        codec = Codec(books, codec.depth, codec.closed | crowded)
+        codec = Codec(books, codec.depth, codec.closed | open_)
     return codec
 
 
@@ -219,14 +252,15 @@ def _codes(df: DataFrame, codec, dimensions: int, parts: int) -> DataFrame:
                 r, name = codec.value.filed(cells)
                 codes.append(c), rows.append(r + lo), names.append(name)
             codes, rows, names = map(np.concatenate, (codes, rows, names))
+            rows, names, asking = codec.value.blocked(keys, rows, names)
             part = (names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
             o = np.argsort(part, kind="stable")
-            part, rows, names = part[o].astype(np.int32), rows[o], names[o]
+            part, rows, names, asking = part[o].astype(np.int32), rows[o], names[o], asking[o]
             edges = np.flatnonzero(np.diff(part)) + 1
             where, blobs = [], []
             for lo, hi in zip([0, *edges], [*edges, len(part)]):
                 where.append(int(part[lo]))
-                blobs.append(np.array([hi - lo], np.int64).tobytes() + names[lo:hi].tobytes() + keys[rows[lo:hi]].tobytes() + codes[rows[lo:hi]].tobytes())
+                blobs.append(np.array([hi - lo], np.int64).tobytes() + names[lo:hi].tobytes() + keys[rows[lo:hi]].tobytes() + codes[rows[lo:hi]].tobytes() + asking[lo:hi].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return df.mapInArrow(run, "part int, blob binary")
@@ -234,19 +268,19 @@ def _codes(df: DataFrame, codec, dimensions: int, parts: int) -> DataFrame:
 
 def _near(coded: DataFrame, codec, least: float) -> DataFrame:
     def run(_, table):
-        names, keys, codes = [], [], []
+        names, keys, codes, asking = [], [], [], []
         for blob in table.column("blob").to_pylist():
             n = int(np.frombuffer(blob, np.int64, 1)[0])
             names.append(np.frombuffer(blob, np.int64, n, 8)), keys.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n))
-            codes.append(np.frombuffer(blob, np.uint8, n * LEVELS, 8 + 16 * n).reshape(n, LEVELS))
-        names, keys, codes = map(np.concatenate, (names, keys, codes))
+            codes.append(np.frombuffer(blob, np.uint8, n * LEVELS, 8 + 16 * n).reshape(n, LEVELS)), asking.append(np.frombuffer(blob, np.int8, n, 8 + (16 + LEVELS) * n))
+        names, keys, codes, asking = map(np.concatenate, (names, keys, codes, asking))
         o = np.argsort(names, kind="stable")
-        names, keys, codes = names[o], keys[o], codes[o]
+        names, keys, codes, asking = names[o], keys[o], codes[o], asking[o]
         edges = np.flatnonzero(np.diff(names)) + 1
         a, b = [np.array([], np.int64)], [np.array([], np.int64)]
         for lo, hi in zip([0, *edges], [*edges, len(names)]):
             if hi - lo > 1:
-                i, j = codec.value.near(codes[lo:hi], least)
+                i, j = codec.value.near(codes[lo:hi], asking[lo:hi], least)
                 a.append(keys[lo + i]), b.append(keys[lo + j])
         a, b = np.concatenate(a), np.concatenate(b)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
