@@ -266,7 +266,7 @@ def a07(spark, d):
 
 @entry("proj1_included_fields", f"SELECT rec_id, url, title, text FROM pad WHERE {word('stadium')}", "pad")
 def proj1(spark, d):
-    return S.search(corpus(spark, d), S.Request("stadium", NOW, limit=1_000_000_000), ["rec_id", "url", "title", "text"]).select("rec_id", "url", "title", "text")
+    return S.matching(corpus(spark, d), S.Request("stadium", NOW)).select("rec_id", "url", "title", "text")
 
 
 @entry("proj2_metadata_keys", "SELECT rec_id, unnest(map_keys(metadata)) AS key, unnest(map_values(metadata)) AS value FROM corpus", "corpus")
