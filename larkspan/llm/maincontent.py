@@ -22,6 +22,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 _TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<![^>]*>", re.S | re.I)
 _SPACES = re.compile(r"\s+")
@@ -237,6 +238,7 @@ def main_lines(df: DataFrame, rec: str = "rec_id", html: str = "html", text: str
 
 def with_main_text(df: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:
     """``df`` with ``out``: the main body of the page as lines, null where there is no html."""
+    df = df.drop(out)  # a column of that name is replaced
     at = df.columns.index(html)
 
     def run(batches):
@@ -247,4 +249,4 @@ def with_main_text(df: DataFrame, html: str = "html", out: str = "main_text") ->
                 texts.append("\n".join(line for line, k in lines_of(page, content_blocks(page)) if k) if page else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))

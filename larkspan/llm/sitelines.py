@@ -18,6 +18,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from larkspan.runtime import BROADCAST_ROWS, checkpoint, small
 
@@ -65,6 +66,7 @@ def repeated_lines(df: DataFrame, rec: str = "rec_id", text: str = "text", domai
 
 def remove_repeated_lines(df: DataFrame, rec: str = "rec_id", text: str = "text", domain: str = "domain", url: str = "url", min_records: int = MIN_RECORDS, out: str = "clean_text") -> DataFrame:
     """``df`` with ``out``: the text without the lines that its source repeats (null stays null)."""
+    df = df.drop(out)  # a column of that name is replaced
     hashed = checkpoint(_hashed(df, rec, text, domain, url))
     confirmed = _confirmed(hashed, min_records)
     lines = F.split(F.col(text), "\n", -1)
@@ -90,10 +92,10 @@ def remove_repeated_lines(df: DataFrame, rec: str = "rec_id", text: str = "text"
                 keep = [i for i, f in enumerate(b.schema.names) if f not in ("__src", "__hs")]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(texts, pa.string())], names=[*(b.schema.names[i] for i in keep), out])
 
-        schema = df.schema.add(out, "string")
+        schema = StructType([*df.schema.fields, StructField(out, StringType())])
         return part.mapInArrow(run, schema)
     # beyond the bound: drop the confirmed lines with a shuffled join and put each record's rest together again
     each = hashed.select("rec", "src", F.posexplode("hs").alias("line_no", "h")).filter("h is not null")
-    gone = each.join(confirmed, ["src", "h"], "left_semi").groupBy("rec").agg(F.collect_set("line_no").alias("__gone"))
+    gone = each.join(confirmed, ["src", "h"], "left_semi").groupBy(F.col("rec").alias("__rec")).agg(F.collect_set("line_no").alias("__gone"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))), "\n")
-    return df.join(gone, df[rec] == gone["rec"], "left").withColumn(out, kept).drop("rec", "__gone")
+    return df.join(gone, df[rec] == gone["__rec"], "left").withColumn(out, kept).drop("__rec", "__gone")
