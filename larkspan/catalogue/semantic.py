@@ -11,10 +11,13 @@ from larkspan.operators import semantic
 from larkspan.runtime import table
 
 
-def stored(spark, d):
-    """Usable stored vectors with their chunks."""
-    v = table(spark, d, "chunk_vectors").filter((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
-    return semantic.with_chunks(v, table(spark, d, "chunk_meta"))
+def vectors(spark, d):
+    """Usable stored vectors."""
+    return table(spark, d, "chunk_vectors").filter((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+
+
+def chunks(spark, d):
+    return table(spark, d, "chunk_meta")
 
 
 def query_vector(spark, d, vec_id: int = 2) -> list[float]:
@@ -23,7 +26,8 @@ def query_vector(spark, d, vec_id: int = 2) -> list[float]:
 
 
 def knn(spark, d, k=50, user=0, threshold=0.1):
-    return semantic.knn(stored(spark, d), query_vector(spark, d), k, user, threshold)
+    """The top k comes before the chunks: only its rows are joined."""
+    return semantic.hits_with_chunks(semantic.knn(vectors(spark, d), query_vector(spark, d), k, user, threshold), chunks(spark, d))
 
 
 def best(spark, d):
@@ -32,7 +36,7 @@ def best(spark, d):
 
 @entry("j05_vectors_with_chunks", "SELECT vec_id, user_id, doc_id, chunk_idx, chunk_text FROM vecs", "vecs")
 def j05(spark, d):
-    return stored(spark, d).select("vec_id", "user_id", "doc_id", "chunk_idx", "chunk_text")
+    return semantic.with_chunks(vectors(spark, d).drop("embedding"), chunks(spark, d)).select("vec_id", "user_id", "doc_id", "chunk_idx", "chunk_text")
 
 
 @entry("t17_knn_own_and_global", "SELECT vec_id, similarity FROM sims WHERE user_id IN (1, 0) AND similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 50", "sims")
@@ -60,7 +64,7 @@ def o13(spark, d):
     verdicts = []
     for k in (0, 1, 4096, 4097):
         try:
-            semantic.knn(stored(spark, d), [0.0] * 64, k)
+            semantic.knn(vectors(spark, d), [0.0] * 64, k)
             verdicts.append((k, "ok"))
         except ValueError as e:
             verdicts.append((k, str(e)))
@@ -79,10 +83,10 @@ GROUP BY doc_id, chunk_idx ORDER BY similarity DESC, doc_id, chunk_idx LIMIT 50"
 
 
 def _merged(spark, d):
-    s = stored(spark, d)
-    q = query_vector(spark, d)
-    own = semantic.knn(s.filter("user_id = 1").withColumn("user_id", F.lit(0).cast("long")), q, 50)
-    return semantic.merge_groups([own, semantic.knn(s, q, 50)], 50).select("doc_id", "chunk_idx", "similarity")
+    v, q = vectors(spark, d), query_vector(spark, d)
+    own = semantic.knn(v.filter("user_id = 1").withColumn("user_id", F.lit(0).cast("long")), q, 50)
+    groups = [semantic.hits_with_chunks(g, chunks(spark, d)) for g in (own, semantic.knn(v, q, 50))]
+    return semantic.merge_groups(groups, 50).select("doc_id", "chunk_idx", "similarity")
 
 
 entry("a14_merge_groups", MERGED, "sims")(_merged)
@@ -107,8 +111,8 @@ def f35(spark, d):
 
 @entry("f36_metadata_constraints", "SELECT vec_id, similarity FROM sims WHERE user_id = 0 AND chunk_idx IN (1, 2, 3) AND length(chunk_text) > 200 AND similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 20", "sims")
 def f36(spark, d):
-    s = stored(spark, d).filter(F.col("chunk_idx").isin(1, 2, 3) & (F.length("chunk_text") > 200))
-    return semantic.knn(s, query_vector(spark, d), 20).select("vec_id", "similarity")
+    keys = chunks(spark, d).filter(F.col("chunk_idx").isin(1, 2, 3) & (F.length("chunk_text") > 200)).select("chunk_key")
+    return semantic.knn(vectors(spark, d).join(keys, "chunk_key", "left_semi"), query_vector(spark, d), 20).select("vec_id", "similarity")
 
 
 @entry("f37_allowed_ids", "SELECT vec_id, similarity FROM sims WHERE user_id = 0 AND similarity >= 0.1 AND doc_id IN (SELECT id FROM corpus WHERE type = 0) ORDER BY similarity DESC, vec_id LIMIT 20", "sims corpus")
@@ -116,7 +120,8 @@ def f37(spark, d):
     from larkspan.catalogue.searching import corpus
 
     allowed = corpus(spark, d).filter("type = 0").select(F.col("id").alias("doc_id"))
-    return semantic.knn(stored(spark, d).join(allowed, "doc_id", "left_semi"), query_vector(spark, d), 20).select("vec_id", "similarity")
+    keys = chunks(spark, d).select("chunk_key", "doc_id").join(allowed, "doc_id", "left_semi").select("chunk_key")
+    return semantic.knn(vectors(spark, d).join(keys, "chunk_key", "left_semi"), query_vector(spark, d), 20).select("vec_id", "similarity")
 
 
 @entry("s22_vector_point", "SELECT vec_id, chunk_key FROM chunk_vectors WHERE vec_id = 2")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import scoring
 from larkspan.operators.predicate import bordered, predicate, words
 from larkspan.plans import dsl, schema
+from larkspan.runtime import checkpoint, small
 
 PAGE = 100
 INCLUDED = ("text", "html")
@@ -40,9 +41,15 @@ class Request:
 
 
 def current(docs: DataFrame) -> DataFrame:
-    """The searchable corpus: of each id the row saved last. Narrow sort keys only; a row_number filter keeps its state small."""
+    """The searchable corpus: of each id the row saved last (``rec_id`` is unique).
+
+    Only narrow sort keys are shuffled, to find the superseded rows; those are few and are taken out by a broadcast if
+    their count allows it. Texts stay where they are scanned, and filters still reach the scan.
+    """
     w = Window.partitionBy("id").orderBy(F.desc("updated"), F.desc("ingested_at"), F.desc("rec_id"))
-    return docs.filter("id is not null").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    keys = docs.filter("id is not null").select("rec_id", "id", "updated", "ingested_at")
+    old = checkpoint(keys.withColumn("n", F.row_number().over(w)).filter("n > 1").select("rec_id"))
+    return docs.filter("id is not null").join(small(old), "rec_id", "left_anti").select(docs.columns)
 
 
 def scope(r: Request) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.vectors import cosine_similarity
+from larkspan.runtime import checkpoint
 
 THRESHOLD, LIMIT, ALPHA = 0.1, 50, 0.4
 POOL, PER_DOCUMENT, MOST = 4, 2, 4096
@@ -14,7 +15,15 @@ POOL, PER_DOCUMENT, MOST = 4, 2, 4096
 def with_chunks(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     """Vectors with the text and place of their chunk; a vector without one keeps an empty text and place -1."""
     meta = chunks.select("chunk_key", "doc_id", "chunk_idx", "chunk_text").dropDuplicates(["chunk_key"])
-    return vectors.join(meta, "chunk_key", "left").select("vec_id", "chunk_key", "user_id", "embedding", F.coalesce("doc_id", "chunk_key").alias("doc_id"), F.coalesce("chunk_idx", F.lit(-1)).alias("chunk_idx"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
+    return vectors.join(meta, "chunk_key", "left").select(*vectors.columns, F.coalesce("doc_id", "chunk_key").alias("doc_id"), F.coalesce("chunk_idx", F.lit(-1)).alias("chunk_idx"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
+
+
+def hits_with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same for the few hits of a search (at most MOST): their chunks are picked by a broadcast of the hits' keys, so
+    neither table is shuffled."""
+    hits = checkpoint(hits.drop("embedding"))
+    meta = chunks.join(F.broadcast(hits.select("chunk_key")), "chunk_key", "left_semi")
+    return with_chunks(hits, meta)
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, user_id: int = 0, threshold: float = THRESHOLD, key: str = "vec_id", metric: str = "cosine") -> DataFrame:

@@ -21,7 +21,7 @@ def doc(i, **kw):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [doc(1, text="Go is fun"), doc(2, title=None, text=None, domain=None, metadata=None, add_count=None), doc(3, text="go-fun GO", user_id=1), doc(4, text="", title="fun go"), doc(4, text="", title="older", updated=1)]
+    rows = [doc(1, text="Go is fun"), doc(2, title=None, text=None, domain=None, metadata=None, add_count=None), doc(3, text="go-fun GO", user_id=1), doc(4, text="", title="fun go"), doc(5, id="u4", text="", title="older", updated=1)]
     return spark.createDataFrame(rows, DOC)
 
 
