@@ -43,6 +43,16 @@ def _all(columns) -> Column:
     return reduce(and_, columns)
 
 
+def _any(columns) -> Column:
+    return reduce(or_, columns)
+
+
+def has_word(c: Column, word: str) -> Column:
+    """A plain search comes first: most texts don't hold the word, and only the others are matched at its borders."""
+    low = F.lower(c)
+    return low.contains(word) & low.rlike(bordered(re.escape(word)))
+
+
 def predicate(node) -> Column:
     if isinstance(node, dsl.Everything):
         return F.lit(True)
@@ -65,13 +75,10 @@ def _leaf(node) -> Column:
         ws = list(dict.fromkeys(words(node.value)))
         if not ws:
             return F.lit(False)
-        low = F.lower(c)
-        if node.every:
-            return _all([low.contains(w) & low.rlike(bordered(re.escape(w))) for w in ws])
-        return low.rlike(bordered("|".join(map(re.escape, ws))))
+        return (_all if node.every else _any)([has_word(c, w) for w in ws])
     if isinstance(node, dsl.Phrase):
         p = phrase_pattern(node.value)
-        return F.lower(c).rlike(p) if p else F.lit(False)
+        return _all([F.lower(c).contains(w) for w in words(node.value)]) & F.lower(c).rlike(p) if p else F.lit(False)
     if isinstance(node, dsl.TermPattern):
         if re.search(r"[^\w*?]|_", node.value):
             return F.lit(False)  # no word holds anything but letters and digits

@@ -15,7 +15,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.operators.predicate import WORD, bordered, phrase_pattern, predicate, words
+from larkspan.operators.predicate import WORD, bordered, has_word, phrase_pattern, predicate, words
 from larkspan.plans import dsl, schema
 
 PHRASE, ALL_WORDS, ROOT, PRIORITY = 20.0, 2.0, 100.0, 100.0
@@ -57,7 +57,7 @@ def scored_words(text: str) -> list[tuple[str, str]]:
 
 def statistics(corpus: DataFrame, pairs: list[tuple[str, str]]) -> Statistics:
     """One combined aggregate over the corpus: one row of counts, one for each scored word."""
-    counts = [F.count_if(F.lower(c).rlike(bordered(re.escape(w)))).alias(f"c{i}") for i, (c, w) in enumerate(pairs)]
+    counts = [F.count_if(has_word(F.col(c), w)).alias(f"c{i}") for i, (c, w) in enumerate(pairs)]
     row = corpus.agg(F.count(F.lit(1)).alias("n"), *counts).first()
     return Statistics(row["n"], {p: row[f"c{i}"] for i, p in enumerate(pairs)})
 
@@ -69,7 +69,7 @@ def relevance(text: str, parsed: dsl.Parsed, stats: Statistics, priority: list[s
         low = F.lower(F.coalesce(F.col(column), F.lit("")))
         tf, length = F.regexp_count(low, F.lit(bordered(re.escape(word)))), F.regexp_count(low, F.lit(WORD))
         idf = 1 + F.log(F.lit(float(stats.documents)) / F.lit(float(df + 1)))
-        parts.append(F.when(tf > 0, weight[column] * F.sqrt(tf) / F.sqrt(length) * idf * idf).otherwise(0.0))
+        parts.append(F.when(low.contains(word) & (tf > 0), weight[column] * F.sqrt(tf) / F.sqrt(length) * idf * idf).otherwise(0.0))
     for t in _contained(text):
         for f in schema.FIELDS:
             if f.contained:

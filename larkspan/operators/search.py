@@ -104,11 +104,12 @@ def after(mode: str, page_key: str) -> Column:
 def search(corpus: DataFrame, r: Request, fields: list[str] | None = None, stats: scoring.Statistics | None = None) -> DataFrame:
     """A page of hits with their ``page_key``. Only the sort keys and the asked fields are read (text and html only on request)."""
     r = r.resolved()
-    hits = scored(corpus, r, stats)
+    keys = [k.lstrip("-") for k in schema.sort_keys(r.sort)]
+    # a score that neither orders nor shows isn't computed
+    hits = scored(corpus, r, stats) if "score" in keys or "score" in (fields or []) else matching(corpus, r)
     if r.page_key:
         hits = hits.filter(after(r.sort, r.page_key))
     n = PAGE if r.limit is None else r.limit
-    keys = [k.lstrip("-") for k in schema.sort_keys(r.sort)]
     shown = fields or [c for c in corpus.columns if c not in INCLUDED]
     out = hits.select(*dict.fromkeys([*keys, *[c for c in shown if c != "page_key"]]))
     out = out.orderBy(*order(r.sort)).limit(n)

@@ -67,6 +67,7 @@ def diversify(hits: DataFrame, documents: int, per_document: int = PER_DOCUMENT)
 
 def hybrid(keyword: DataFrame, semantic: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Full outer merge on the id: ``(1 - alpha) * score / max(best score, 1) + alpha * similarity``, with its origin."""
+    keyword = checkpoint(keyword.select("id", "score"))  # narrow; scoring is not done twice
     top = keyword.agg(F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(1.0)).alias("top")).first()["top"]
     both = keyword.select("id", "score").join(semantic.select("id", "similarity"), "id", "full")
     value = (1 - alpha) * F.coalesce("score", F.lit(0.0)) / F.lit(float(top)) + alpha * F.coalesce("similarity", F.lit(0.0))

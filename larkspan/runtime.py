@@ -37,5 +37,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -
     return F.broadcast(df) if n <= limit else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than that, for work that costs far more than moving the
+    rows: a few files, hence few bytes. A scan of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def default_parallelism(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, os.cpu_count() or 1)
