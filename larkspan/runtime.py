@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the Python workers, once for a session: in local mode where they wouldn't find it by
+    themselves, on a cluster always. Spark hands the archive to every executor, also to one that comes later."""
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    if getattr(sc, "_larkspan_shipped", False):
+        return
+    found = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root
+    if not (found and sc.master.startswith("local[")):
+        archive = Path(tempfile.mkdtemp(prefix="larkspan-")) / "larkspan.zip"
+        with zipfile.PyZipFile(str(archive), "w") as z:
+            z.writepy(str(Path(root) / "larkspan"))
+        sc.addPyFile(str(archive))
+    sc._larkspan_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,11 +55,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -
     return F.broadcast(df) if n <= limit else df
 
 
+#: Planned bytes for each core under which a scan counts as small.
+SMALL_SCAN = 16 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its scan has fewer partitions than that, for work that costs far more than moving the
-    rows: a few files, hence few bytes. A scan of many splits stays as it is."""
+    """``df`` over all cores if its planned size is small (a few files, maybe only one split), for work that costs far
+    more than moving those rows. Larger inputs stay as they are scanned. Nothing runs to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if planned <= cores * SMALL_SCAN else df
 
 
 def default_parallelism(df: DataFrame) -> int:
