@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.runtime import checkpoint, default_parallelism, small
+from larkspan.runtime import checkpoint, default_parallelism, small, spread
 
 K, MIN_COSINE, DIMENSIONS = 5, 0.90, 64
 #: The sample that codebooks are fitted on, codewords of a level, levels, rounds of k-means.
@@ -311,6 +311,7 @@ def nearest(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", k:
     if k < 1:
         raise ValueError("k must be at least 1")
     base = df.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<float>").alias("v")).filter("key is not null and v is not null")
+    base = spread(base, "key")
     survey = checkpoint(_survey(base, dimensions))
     names = survey.groupBy("one", "two").agg(F.min("key").alias("c"), F.count_distinct("key").alias("n"))
     copied = names.filter("n > 1")

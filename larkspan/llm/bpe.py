@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.runtime import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,7 +207,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     kind = df.schema[key].dataType.simpleString()
     part = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return part.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(part, "key").mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def with_token_count(df: DataFrame, columns: list[str], text: str = "text", tokenizer: str = TOKENIZER, name: str = "n_tokens") -> DataFrame:
@@ -221,4 +223,4 @@ def with_token_count(df: DataFrame, columns: list[str], text: str = "text", toke
 
     part = df.select(*columns, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return part.mapInArrow(run, f"{schema}, {name} bigint")
+    return spread(part, columns[0]).mapInArrow(run, f"{schema}, {name} bigint")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.runtime import spread
+
 TRAINING_ROWS = 20_000
 FEATURES = 1 << 15
 MIN_LETTERS, SHORT = 40, 20
@@ -239,7 +241,7 @@ def identify(df: DataFrame, model: Model, rec: str = "rec_id", text: str = "text
 
     kind = df.schema[rec].dataType.simpleString()
     part = df.select(F.col(rec).alias("rec"), F.col(text).cast("string").alias("t"))
-    return part.mapInArrow(run, f"rec {kind}, line_no int, lang string, confidence double, letters bigint").withColumnRenamed("rec", rec)
+    return spread(part, "rec").mapInArrow(run, f"rec {kind}, line_no int, lang string, confidence double, letters bigint").withColumnRenamed("rec", rec)
 
 
 def wrong_labels(df: DataFrame, model: Model, codes: list[str], rec: str = "rec_id", text: str = "text", label: str = "language") -> DataFrame:
@@ -278,4 +280,4 @@ def wrong_labels(df: DataFrame, model: Model, codes: list[str], rec: str = "rec_
 
     kind = df.schema[rec].dataType.simpleString()
     part = df.select(F.col(rec).alias("rec"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("l")).filter("t is not null")
-    return part.mapInArrow(run, f"rec {kind}, line_no int, lang string").withColumnRenamed("rec", rec)
+    return spread(part, "rec").mapInArrow(run, f"rec {kind}, line_no int, lang string").withColumnRenamed("rec", rec)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from larkspan.runtime import spread
+
 _TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<![^>]*>", re.S | re.I)
 _SPACES = re.compile(r"\s+")
 _WIDE = re.compile(r"[⺀-鿿가-힯豈-﫿！-｠]")
@@ -233,7 +235,7 @@ def main_lines(df: DataFrame, rec: str = "rec_id", html: str = "html", text: str
 
     kind = df.schema[rec].dataType.simpleString()
     part = df.select(F.col(rec).alias("rec"), F.col(html).alias("h"), F.col(text).alias("t")).filter("h is not null and t is not null and trim(h) != '' and trim(t) != ''")
-    return part.mapInArrow(run, f"rec {kind}, line_no int").withColumnRenamed("rec", rec)
+    return spread(part, "rec").mapInArrow(run, f"rec {kind}, line_no int").withColumnRenamed("rec", rec)
 
 
 def with_main_text(df: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.runtime import checkpoint, default_parallelism, small
+from larkspan.runtime import checkpoint, default_parallelism, small, spread
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 30
 COUNTERS, BLOCKS = 1 << 21, 64
@@ -282,6 +282,7 @@ def similar_classes(df: DataFrame, key: str = "rec_id", text: str = "text", k: i
     """Membership ``(key, class_id)`` of every record with enough words, the class being that of its exact copies and
     named by their least key; and the pairs ``(a, b, similarity)`` of different classes over the threshold, a < b."""
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null and text is not null")
+    docs = spread(docs, "key")
     survey = checkpoint(_survey(docs, k, min_words))
     sets = survey.filter("kind = 0").select("key", "one", "two", "size")
     names = sets.groupBy("one", "two").agg(F.min("key").alias("class_id"), F.count("*").alias("n"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from larkspan.runtime import BROADCAST_ROWS, checkpoint, small
+from larkspan.runtime import BROADCAST_ROWS, checkpoint, small, spread
 
 MIN_RECORDS = 8
 #: Counters of one source's summary. More lines than counters make the summary less selective, never wrong.
@@ -43,7 +43,7 @@ def normal_line(line: Column) -> Column:
 def _hashed(df: DataFrame, rec: str, text: str, domain: str, url: str) -> DataFrame:
     """One row per record: its source's hash and the hashes of its lines, null for blank lines. Lines keep their places."""
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.nullif(normal_line(x), F.lit("")))
-    keyed = df.select(F.col(rec).alias("rec"), source_of(F.col(domain), F.col(url)).alias("src"), lines.alias("lines")).filter("src is not null and lines is not null")
+    keyed = spread(df.select(rec, text, domain, url), rec).select(F.col(rec).alias("rec"), source_of(F.col(domain), F.col(url)).alias("src"), lines.alias("lines")).filter("src is not null and lines is not null")
     return keyed.select("rec", F.xxhash64("src").alias("src"), F.transform("lines", lambda x: F.when(x.isNotNull(), F.xxhash64(x))).alias("hs"))
 
 

@@ -348,4 +348,4 @@ def test_set_phrases_are_neutral():
     docs = [(f"a level playing field in case {i}", set()) for i in range(12)] + [(f"the magnetic field of probe {i}", {0}) for i in range(12)] + [(f"the field of corn {i} grew", {0}) for i in range(20)]
     terms = subjects.learn(["science"], docs)
     lex = subjects.Lexicon(["science"], terms)
-    assert lex.score("a level playing field here").sum() == 0 and lex.score("the magnetic field here").sum() > 0
+    assert lex.score(subjects.sentences("a level playing field here")).sum() == 0 and lex.score(subjects.sentences("the magnetic field here")).sum() > 0
