@@ -1,8 +1,8 @@
 """Conditions of the search language as boolean columns: built-in expressions only, so filters stay in generated code.
 
 Analysed columns are matched on words, maximal runs of letters and digits in lower case. A word is looked up with one
-regular expression between word borders, which needs no token arrays. A condition on a null value is false, so that
-its negation holds.
+regular expression between word borders, which needs no token arrays. A condition on a null value doesn't hold, and its
+negation does; nulls are turned into false only below a negation, so that plain comparisons still reach the scan.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ def has_word(c: Column, word: str) -> Column:
 
 
 def predicate(node) -> Column:
+    """True where the condition holds; false or null where it doesn't."""
     if isinstance(node, dsl.Everything):
         return F.lit(True)
     if isinstance(node, dsl.Nothing):
@@ -61,10 +62,21 @@ def predicate(node) -> Column:
     if isinstance(node, dsl.And):
         return _all([predicate(x) for x in node.of])
     if isinstance(node, dsl.Or):
-        return reduce(or_, [predicate(x) for x in node.of])
+        return _any([predicate(x) for x in node.of])
     if isinstance(node, dsl.Not):
-        return ~predicate(node.of)
-    return F.coalesce(_leaf(node), F.lit(False))
+        return ~F.coalesce(predicate(node.of), F.lit(False))
+    return _leaf(node)
+
+
+def _matches(c: Column, value: str, any_case: bool) -> Column:
+    """A pattern of plain text with stars at its ends is a plain search; others are regular expressions."""
+    core = value.strip("*")
+    if "*" in core or "?" in core or not core:
+        return c.rlike(value_pattern(value, any_case))
+    if any_case:
+        c, core = F.lower(c), core.lower()
+    before, behind = value.startswith("*"), value.endswith("*")
+    return c.contains(core) if before and behind else c.endswith(core) if before else c.startswith(core) if behind else c == core
 
 
 def _leaf(node) -> Column:
@@ -86,7 +98,7 @@ def _leaf(node) -> Column:
     if isinstance(node, dsl.Equals):
         return c == F.lit(node.value)
     if isinstance(node, dsl.ValuePattern):
-        return c.rlike(value_pattern(node.value, node.any_case))
+        return _matches(c, node.value, node.any_case)
     if isinstance(node, dsl.Range):
         parts = []
         if node.low is not None:
