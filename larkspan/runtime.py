@@ -55,8 +55,9 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -
     return F.broadcast(df) if n <= limit else df
 
 
-#: Planned bytes for each core under which a scan counts as small.
-SMALL_SCAN = 16 << 20
+#: Planned bytes for each core (of the columns read, by the optimiser, which takes texts for short) under which a scan
+#: counts as small.
+SMALL_SCAN = 1 << 20
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
