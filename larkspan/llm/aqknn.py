@@ -40,6 +40,8 @@ CELL, CROWDED = 600, 6000
 SHORTLIST = 32
 #: How far below the threshold an approximate cosine may lie.
 SLACK = 0.22
+#: Vectors of a block in exact comparison.
+BLOCK = 8192
 
 
 def usable(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,8 +308,52 @@ def _reranked(found: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def nearest(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = K, least: float = MIN_COSINE, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``(key, neighbour, rank, cosine)``: of every usable vector the at most ``k`` others with the highest cosine, of at least ``least``."""
+def _compared(members: DataFrame, vectors: DataFrame, k: int, least: float, dimensions: int) -> DataFrame:
+    """Pairs (a, b) of the members ``(cell, key, ask)`` of a cell: of each that asks, the k + 1 others with the highest
+    exact cosine. Blocks of a cell meet each other in tasks of their own, so a task's size is bounded."""
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = members.join(sizes, "cell").withColumn("mine", F.pmod(F.xxhash64("key"), "n").cast("int")).join(vectors, "key")
+    each = F.sequence(F.lit(0), F.col("n") - 1)
+    asking = placed.filter("ask = 1").select("cell", F.col("mine").alias("q"), F.explode(each).alias("t"), F.lit(1).alias("ask"), "key", "v")
+    there = placed.select("cell", F.explode(each).alias("q"), F.col("mine").alias("t"), F.lit(0).alias("ask"), "key", "v")
+
+    def run(_, table):
+        at, x = usable(table.column("v"), dimensions)
+        ask, keys = (table.column(c).to_numpy()[at] for c in ("ask", "key"))
+        x = x.astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        o = np.argsort(keys, kind="stable")
+        o = o[ask[o] == 0]
+        others, y = keys[o], x[o]
+        asks, x = keys[ask == 1], x[ask == 1]
+        out = [[np.array([], np.int64)], [np.array([], np.int64)], [np.array([], np.float64)]]
+        for lo in range(0, len(asks) if len(others) else 0, 512):
+            who = asks[lo : lo + 512]
+            score = x[lo : lo + 512] @ y.T
+            own = np.minimum(np.searchsorted(others, who), len(others) - 1)
+            own, itself = own[others[own] == who], np.flatnonzero(others[own] == who)
+            score[itself, own] = -np.inf
+            last = np.full(len(who), -np.inf)
+            if len(others) > k + 1:
+                last = np.partition(score, len(others) - k - 1, axis=1)[:, len(others) - k - 1]
+            i, j = np.nonzero(score >= np.maximum(last - 1e-12, least - 1e-9)[:, None])
+            v = np.round(score[i, j], 12)
+            o = np.lexsort((j, -v, i))
+            i, j, v = i[o], j[o], v[o]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            out[0].append(who[i[keep]]), out[1].append(others[j[keep]]), out[2].append(v[keep])
+        return pa.table(dict(zip("abv", map(np.concatenate, out))))
+
+    best = asking.union(there).groupBy("cell", "q", "t").applyInArrow(run, "a bigint, b bigint, v double").distinct()
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("v"), "b"))).filter(F.col("n") <= k + 1)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def nearest(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = K, least: float | None = MIN_COSINE, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(key, neighbour, rank, cosine)``: of every usable vector the at most ``k`` others with the highest cosine, of at
+    least ``least``. Without ``least`` every vector has its ``k`` nearest, however far they are: codes and cells can't
+    rule out anything then, and all are compared exactly, which takes time by the square of the vectors."""
     if k < 1:
         raise ValueError("k must be at least 1")
     base = df.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<float>").alias("v")).filter("key is not null and v is not null")
@@ -320,6 +366,11 @@ def nearest(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", k:
     extra = copies.filter("c != key").select("key")
     single = base.join(small(extra), "key", "left_anti").select("key", "v")
     schema = "a bigint, b bigint, cosine double"
+    if n and least is None:
+        members = survey.select("key").distinct().join(small(extra), "key", "left_anti").select(F.lit(0).cast("long").alias("cell"), "key", F.lit(1).alias("ask"))
+        vectors = single.dropDuplicates(["key"])
+        links = _reranked(checkpoint(_compared(members, vectors, k, -2.0, dimensions)), vectors, -2.0)
+        return _spread(links, copies, k).select(F.col("key").alias(key), "neighbour", "rank", "cosine")
     if n:
         share = min(1.0, 1.2 * SAMPLE / n)
         picked = base.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "v").limit(2 * SAMPLE).toArrow()

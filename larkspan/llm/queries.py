@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aqknn.nearest(table(spark, sf_dir, "embeddings"), least=0.5)
+    return aqknn.nearest(table(spark, sf_dir, "embeddings"), least=None)
 
 
 def _near(spark: SparkSession, sf_dir: str):

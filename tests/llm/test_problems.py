@@ -56,6 +56,20 @@ def test_neighbours(spark):
     assert all(a != b and a < 1000 or 2000 <= a for a, b in got)
 
 
+def test_every_vector_has_its_nearest_without_a_floor(spark, data, monkeypatch):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 64 and np.isfinite(np.array(v, float)).all() and any(v)}
+    keys, x = np.array(sorted(good)), np.stack([good[i] for i in sorted(good)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2)
+    true = {(int(keys[i]), int(keys[j])) for i in range(len(keys)) for j in np.argsort(-cosine[i], kind="stable")[:5]}
+    for block in (aqknn.BLOCK, 40):
+        monkeypatch.setattr(aqknn, "BLOCK", block)
+        got = {(r["vec_id"], r["neighbour"]) for r in queries.p1_embeddings(spark, data).collect()}
+        assert len(got) == len(true) == 5 * len(keys) and len(got & true) >= 0.999 * len(true)
+
+
 def test_no_usable_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0] * 4)], "vec_id long, embedding array<float>")
     assert aqknn.nearest(df, dimensions=4).count() == 0
