@@ -320,24 +320,32 @@ def pairs(members: DataFrame, links: DataFrame, key: str = "rec_id", expand: int
     return every.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b")).distinct()
 
 
-def groups(members: DataFrame, links: DataFrame, key: str = "rec_id", rounds: int = 60) -> DataFrame:
-    """``(key, class_id, group_id, n_links)``: groups are the connected components of the links between classes, named
-    by their least key; ``n_links`` counts the different texts a record's text is linked with.
+def components(edges: DataFrame) -> DataFrame:
+    """``(v, l)``: of every vertex of the edges (a, b) the least one that it is connected with.
 
-    Labels shrink by neighbour minima and by following the labels themselves, so a chain of length L takes about
-    log L rounds; each round's state is a checkpoint, and nothing but a count reaches the driver.
+    Large and small stars in turn: each vertex hands its larger neighbours, then its smaller ones, to the least of all.
+    A long chain folds up by about half in a round; it ends when every edge leads to a centre and no centre leads on.
+    Each round's state is a checkpoint, and nothing but a count reaches the driver.
     """
+    star = checkpoint(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).filter("v != w").distinct())
+    while True:
+        both = star.union(star.select("w", "v"))
+        least = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("m"))
+        large = both.join(least, "v").filter("w > v").select(F.col("w").alias("v"), F.col("m").alias("w")).distinct()
+        low = large.groupBy("v").agg(F.min("w").alias("m"))
+        rest = large.join(low, "v").filter("w != m").select(F.col("w").alias("v"), "m")
+        star = checkpoint(rest.union(low).distinct().toDF("v", "w"))
+        ends = star.select("v", F.lit(1).alias("up"), F.lit(0).alias("down")).union(star.select("w", F.lit(0), F.lit(1)))
+        if not ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up > 0 and down > 0").limit(1).count():
+            return star.select("v", F.col("w").alias("l")).union(star.select("w", "w")).distinct()
+
+
+def groups(members: DataFrame, links: DataFrame, key: str = "rec_id") -> DataFrame:
+    """``(key, class_id, group_id, n_links)``: groups are the connected components of the links between classes, named
+    by their least key; ``n_links`` counts the different texts a record's text is linked with."""
     links = checkpoint(links.select("a", "b"))
-    both = checkpoint(links.union(links.select("b", "a")).toDF("v", "w"))
-    label = checkpoint(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("l")))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("l").alias("m"))
-        step = label.join(near, "v").select("v", "l", F.least("l", "m").alias("m"))
-        jump = label.select(F.col("v").alias("m"), F.col("l").alias("j"))
-        new = checkpoint(step.join(jump, "m", "left").select("v", F.col("l").alias("old"), F.least("m", F.coalesce("j", "m")).alias("l")))
-        label = new.select("v", "l")
-        if not new.filter("old != l").limit(1).count():
-            break
+    both = links.union(links.select("b", "a")).toDF("v", "w")
+    label = components(links)
     degree = both.groupBy("v").agg(F.count("*").alias("n_links"))
     out = members.join(label, members["class_id"] == label["v"], "left").drop("v").join(degree, members["class_id"] == degree["v"], "left")
     return out.select(F.col("key").alias(key), "class_id", F.coalesce("l", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

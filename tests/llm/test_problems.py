@@ -179,6 +179,16 @@ def test_asking_for_more_matches_pays():
     assert 1 <= neardup.matches_to_ask(np.array([1.0, 1e9, 1e9]), 3, 2) <= 2
 
 
+def test_long_chains_are_one_group(spark):
+    order = [1, *range(70, 1, -1)]
+    shuffled = list(range(1000, 1400))
+    random.Random(4).shuffle(shuffled)
+    edges = [(min(e), max(e), 0.8) for c in (order, shuffled) for e in zip(c, c[1:])]
+    members = spark.createDataFrame([(i, i) for i in [*order, *shuffled, 5000]], "key long, class_id long")
+    got = {r["rec_id"]: r["group_id"] for r in neardup.groups(members, spark.createDataFrame(edges, "a long, b long, similarity double")).collect()}
+    assert got == {**dict.fromkeys(order, 1), **dict.fromkeys(shuffled, 1000), 5000: 5000}
+
+
 # ---------------------------------------------------------------- 3
 
 
