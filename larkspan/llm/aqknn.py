@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.llm.neardup import components
 from larkspan.runtime import checkpoint, default_parallelism, small, spread
 
 K, MIN_COSINE, DIMENSIONS = 5, 0.90, 64
@@ -36,7 +37,7 @@ SAMPLE, WORDS, LEVELS, ROUNDS = 8192, 64, 16, 6
 PROBES, BEAM = (3, 5, 8, 12), 2
 #: Vectors in a cell aimed at on average, and estimated size from which a cell is opened further.
 CELL, CROWDED = 600, 6000
-#: Candidates of a vector in a cell that go on to exact reranking: those with the highest approximate cosine.
+#: Candidates of a vector in a cell up to which lookups decide; a vector with more is compared exactly with the cell.
 SHORTLIST = 32
 #: How far below the threshold an approximate cosine may lie.
 SLACK = 0.22
@@ -170,9 +171,9 @@ class Codec:
             out += self.books[m][codes[:, m]]
         return out
 
-    def near(self, codes: np.ndarray, asking: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, codes: np.ndarray, asking: np.ndarray, least: float, full: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (i, j) of the coded vectors with an approximate cosine of at least ``least``, i asking, by table
-        lookups; of each i at most the SHORTLIST best."""
+        lookups. With ``full``, each i with more than SHORTLIST of them goes there instead: lookups can't tell them apart."""
         out_i, out_j = [], []
         decoded = self.decode(codes)
         norm = np.maximum(np.linalg.norm(decoded, axis=1), 1e-9)
@@ -190,14 +191,12 @@ class Codec:
                 score /= norm[start : start + 4096, None]
                 j, i = np.nonzero(score >= least)
                 keep = j + start != who[i]
-                found.append((i[keep], j[keep] + start, score[j[keep], i[keep]]))
-            i, j, v = (np.concatenate(x) for x in zip(*found))
-            if len(i) > SHORTLIST:
-                o = np.lexsort((j, -v, i))
-                i, j = i[o], j[o]
-                first = np.searchsorted(i, i)
-                keep = np.arange(len(i)) - first < SHORTLIST
-                i, j = i[keep], j[keep]
+                found.append((i[keep], j[keep] + start))
+            i, j = (np.concatenate(x) for x in zip(*found))
+            if full is not None:
+                many = np.bincount(i, minlength=len(who)) > SHORTLIST
+                full.append(who[many])
+                i, j = i[~many[i]], j[~many[i]]
             out_i.append(who[i]), out_j.append(j)
         if not out_i:
             return np.array([], np.int64), np.array([], np.int64)
@@ -269,6 +268,9 @@ def _codes(df: DataFrame, codec, dimensions: int, parts: int) -> DataFrame:
 
 
 def _near(coded: DataFrame, codec, least: float) -> DataFrame:
+    """Pairs (a, b) that pass the lookup; and of each cell where some vector has too many of them the members, as a,
+    with the cell and whether this one has. Cells are null in pairs."""
+
     def run(_, table):
         names, keys, codes, asking = [], [], [], []
         for blob in table.column("blob").to_pylist():
@@ -280,16 +282,34 @@ def _near(coded: DataFrame, codec, least: float) -> DataFrame:
         names, keys, codes, asking = names[o], keys[o], codes[o], asking[o]
         edges = np.flatnonzero(np.diff(names)) + 1
         a, b = [np.array([], np.int64)], [np.array([], np.int64)]
+        member, cell, ask = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([], np.int8)]
+        blocks = {-(c * n + i) - 1: c for c, n in codec.value.crowds.items() for i in range(n)}
         for lo, hi in zip([0, *edges], [*edges, len(names)]):
             if hi - lo > 1:
-                i, j = codec.value.near(codes[lo:hi], asking[lo:hi], least)
+                full: list = []
+                i, j = codec.value.near(codes[lo:hi], asking[lo:hi], least, full)
                 a.append(keys[lo + i]), b.append(keys[lo + j])
-        a, b = np.concatenate(a), np.concatenate(b)
+                name = int(names[lo])
+                if name in blocks or sum(map(len, full)):
+                    # the blocks of a crowd hand in their own members, so that the crowd is one cell again
+                    is_full = np.zeros(hi - lo, np.int8)
+                    is_full[np.concatenate([np.array([], np.int64), *full])] = 1
+                    own = np.flatnonzero(asking[lo:hi])
+                    member.append(keys[lo + own]), ask.append(is_full[own]), cell.append(np.full(len(own), blocks.get(name, name)))
+        a, b, member, cell, ask = map(np.concatenate, (a, b, member, cell, ask))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         both = both[both[:, 0] != both[:, 1]]
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        none = pa.nulls(len(both), pa.int64())
+        return pa.table(
+            {
+                "a": np.r_[both[:, 0], member],
+                "b": pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(len(member), pa.int64())]),
+                "cell": pa.concat_arrays([none, pa.array(cell)]),
+                "ask": pa.concat_arrays([none.cast(pa.int8()), pa.array(ask)]),
+            }
+        )
 
-    return coded.groupBy("part").applyInArrow(run, "a bigint, b bigint").distinct()
+    return coded.groupBy("part").applyInArrow(run, "a bigint, b bigint, cell bigint, ask tinyint").distinct()
 
 
 def _reranked(found: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -380,7 +400,18 @@ def nearest(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", k:
     else:
         codec = df.sparkSession.sparkContext.broadcast(plan(train(sample), sample, n))
         parts = max(2 * default_parallelism(df), math.ceil(n * 8 / 200_000))
-        found = checkpoint(_near(_codes(single, codec, dimensions, parts), codec, least - SLACK))
+        near = checkpoint(_near(_codes(single, codec, dimensions, parts), codec, least - SLACK))
+        found = near.filter("cell is null").select("a", "b")
+        full = near.filter("ask = 1").select("cell").distinct()
+        if full.limit(1).count():
+            # a crowd lies across several cells: those that a vector with too many candidates is filed under are one
+            members = checkpoint(near.join(small(full), "cell", "left_semi").select("cell", F.col("a").alias("key"), "ask"))
+            joined = members.groupBy("key").agg(F.min("cell").alias("a"), F.collect_set("cell").alias("cells"), F.max("ask").alias("ask")).filter("ask = 1")
+            crowd = components(joined.select("a", F.explode("cells").alias("b")).filter("a != b").distinct()).toDF("cell", "crowd")
+            members = members.join(small(checkpoint(crowd)), "cell", "left").groupBy(F.coalesce("crowd", "cell").alias("cell"), "key").agg(F.max("ask").alias("ask"))
+            inside = members.select("key").distinct()
+            met = _compared(members, base.join(small(inside), "key", "left_semi").dropDuplicates(["key"]).select("key", "v"), k, least, dimensions)
+            found = checkpoint(found.union(met).distinct())
         needed = checkpoint(found.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         vectors = base.join(small(needed), "key", "left_semi").dropDuplicates(["key"]).select("key", "v")
         links = _reranked(found, vectors, least)

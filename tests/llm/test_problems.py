@@ -70,6 +70,24 @@ def test_every_vector_has_its_nearest_without_a_floor(spark, data, monkeypatch):
         assert len(got) == len(true) == 5 * len(keys) and len(got & true) >= 0.999 * len(true)
 
 
+def test_all_neighbours_of_a_crowd(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre + rng.normal(size=(1500, 64)) * 0.2, rng.normal(size=(1500, 64))]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2)
+    true = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-cosine[i])[:5] if cosine[i, j] >= 0.9}
+    assert len(true) > 7000
+    monkeypatch.setattr(aqknn, "BLOCK", 500)
+    for crowded in (aqknn.CROWDED, 400):
+        monkeypatch.setattr(aqknn, "CROWDED", crowded)
+        got = {(r["vec_id"], r["neighbour"]) for r in aqknn.nearest(df).collect()}
+        print("crowd", crowded, len(true), len(got), len(got & true))
+        assert len(got & true) >= 0.95 * len(true)
+
+
 def test_no_usable_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0] * 4)], "vec_id long, embedding array<float>")
     assert aqknn.nearest(df, dimensions=4).count() == 0
