@@ -276,6 +276,12 @@ def w16(spark, d):
     return corpus(spark, d).filter(~F.col("title").contains("\\")).select("rec_id", field.alias("line"))
 
 
+@entry("w16_csv_fields_all")
+def w16b(spark, d):
+    field = F.concat(F.lit('"'), F.replace(F.coalesce("title", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return corpus(spark, d).select("rec_id", field.alias("line"))
+
+
 @entry("w17_rss_items", """SELECT url, '<item><title>' || esc(coalesce(nullif(trim(title), ''), url)) || '</title><link>' || esc(url) || '</link><pubDate>' || strftime(make_timestamp(updated * 1000000), '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate></item>' AS item FROM corpus""".replace("esc(coalesce(nullif(trim(title), ''), url))", "replace(replace(replace(replace(coalesce(nullif(trim(title), ''), url), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;')").replace("esc(url)", "replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;')"), "corpus")
 def w17(spark, d):
     return imports.rss_items(corpus(spark, d))

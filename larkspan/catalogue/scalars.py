@@ -56,6 +56,12 @@ def t08(spark, d):
     return plain.select("doc_id", F.size(T.embedding_tokens(F.col("text"))).alias("n"))
 
 
+# the same over all rows, which SQL can't say (its expressions have no lookahead)
+@entry("t08_embedding_tokens_all")
+def t08b(spark, d):
+    return docs(spark, d).filter("text is not null").select("doc_id", F.size(T.embedding_tokens(F.col("text"))).alias("n"))
+
+
 def _pandas(f, kind):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
@@ -110,6 +116,7 @@ entry("c02_host", "SELECT rec_id, CASE WHEN starts_with(url, 'file://') THEN 'lo
 entry("c03_file_title", "SELECT rec_id, array_to_string(list_filter(string_split(replace(url, 'file://', ''), '/'), lambda p: p <> '')[-2:], '/') AS title FROM indexed_docs WHERE type = 1")(lambda spark, d: saved(spark, d).filter("type = 1").select("rec_id", T.file_title(T.url_to_path(F.col("url"))).alias("title")))
 entry("c04_path_and_url", "SELECT rec_id, replace(url, 'file://', '') AS path, url, starts_with(url, 'file:///srv/inbox/') AS inbox FROM indexed_docs WHERE type = 1")(lambda spark, d: saved(spark, d).filter("type = 1").select("rec_id", T.url_to_path(F.col("url")).alias("path"), T.path_to_url(T.url_to_path(F.col("url"))).alias("url"), T.under(T.url_to_path(F.col("url")), F.lit("/srv/inbox")).alias("inbox")))
 entry("c05_resolved_link", "SELECT rec_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/about' AS link FROM indexed_docs WHERE type = 0 AND url NOT LIKE '%@%'")(lambda spark, d: saved(spark, d).filter("type = 0 and url not like '%@%'").select("rec_id", T.resolve_url(F.col("url"), F.lit("/about")).alias("link")))
+entry("c05_resolved_link_all")(lambda spark, d: saved(spark, d).filter("type = 0").select("rec_id", T.resolve_url(F.col("url"), F.lit("/about")).alias("link")))
 entry("c06_crawl_link", "SELECT rec_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/x?y=1' AS link FROM indexed_docs WHERE type = 0")(lambda spark, d: saved(spark, d).filter("type = 0").select("rec_id", T.crawl_link(F.col("url"), F.lit("/x?y=1#z")).alias("link")))
 LINKS = "(?i)<a\\b[^>]*?\\shref\\s*=\\s*[\"'']([^\"'']*)[\"'']"
 entry("c07_links", f"SELECT rec_id, regexp_extract_all(html, '{LINKS}', 1) AS links FROM indexed_docs WHERE html IS NOT NULL")(lambda spark, d: saved(spark, d).filter("html is not null").select("rec_id", T.links(F.col("html")).alias("links")))
@@ -128,6 +135,7 @@ entry("c12_combined_texts", "SELECT doc_id, array_to_string(list_filter([trim(ti
 entry("c13_service_time", "SELECT doc_id, floor(epoch(added_at))::BIGINT AS at, 0::BIGINT AS bad FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", T.service_time(F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'+0000'")).alias("at"), T.service_time(F.lit("yesterday")).alias("bad")))
 entry("c14_day_bounds", "SELECT doc_id, epoch(date_trunc('day', added_at))::BIGINT AS lo, epoch(date_trunc('day', added_at))::BIGINT + 86399 AS hi FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", T.day_start(F.date_format("added_at", "yyyy-MM-dd")).alias("lo"), T.day_end(F.date_format("added_at", "yyyy-MM-dd")).alias("hi")))
 entry("c15_subtitles", "SELECT doc_id, trim(regexp_replace(title, '<[^>]*>', '', 'g')) AS text FROM documents WHERE NOT regexp_matches(trim(title), '^(\\d+|)$|-->|^(WEBVTT|Kind:|Language:|NOTE|STYLE|REGION)') AND NOT regexp_matches(title, '[\\r\\n]')")(lambda spark, d: docs(spark, d).filter(~F.trim("title").rlike(r"^(\d+|)$|-->|^(WEBVTT|Kind:|Language:|NOTE|STYLE|REGION)") & ~F.col("title").rlike(r"[\r\n]")).select("doc_id", T.vtt_text(F.concat(F.lit("WEBVTT\n\n1\n00:00.000 --> 00:01.000\n<c>"), "title", F.lit("</c>\n\n2\n00:01.000 --> 00:02.000\n"), "title")).alias("text")))
+entry("c15_subtitles_all")(lambda spark, d: docs(spark, d).select("doc_id", T.vtt_text(F.concat(F.lit("WEBVTT\n\n1\n00:00.000 --> 00:01.000\n<c>"), "title", F.lit("</c>\n\n2\n00:01.000 --> 00:02.000\n"), "title")).alias("text")))
 entry("c16_data_uri", "SELECT doc_id, octet_length(encode(title)) AS bytes FROM documents WHERE title IS NOT NULL")(lambda spark, d: docs(spark, d).filter("title is not null").select("doc_id", F.octet_length(T.data_uri_bytes(F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("title", "UTF-8"))))).cast("long").alias("bytes")))
 entry("c17_blob_key", "SELECT rec_id, sha256(html) AS key, true AS valid FROM indexed_docs WHERE html IS NOT NULL")(lambda spark, d: saved(spark, d).filter("html is not null").select("rec_id", T.blob_key(F.col("html")).alias("key"), T.is_blob_key(T.blob_key(F.col("html"))).alias("valid")))
 entry("c19_duration", "SELECT event_id, printf('%.2f', round(value, 2)) || 's' AS duration FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", T.duration_text(F.col("value")).alias("duration")))

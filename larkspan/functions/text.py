@@ -40,7 +40,7 @@ def analysed(c: Column, language: str = "", keep_stop_words: bool = False) -> Co
 
 def embedding_tokens(c: Column) -> Column:
     """Units of the embedding budget: each wide character, each run of letters and digits, each other mark; no space."""
-    return F.regexp_extract_all(c, F.lit(rf"([{CJK}]|(?:(?![{CJK}])[\p{{L}}\p{{N}}])+|[^\s\p{{L}}\p{{N}}])"))
+    return F.regexp_extract_all(c, F.lit(rf"(?U)([{CJK}]|(?:(?![{CJK}])[\p{{L}}\p{{Nd}}])+|[^\s\p{{L}}\p{{Nd}}])"))
 
 
 def stripped(c: Column) -> Column:

@@ -200,3 +200,33 @@ def test_packing(spark):
     ops = spark.createDataFrame([("a", 1, 4), ("a", 2, 4), ("a", 3, 20), ("a", 4, 4), ("b", 1, 1)], "k string, s long, n long")
     got = {(r["k"], r["s"]): (r["batch"], r["status"]) for r in imports.pack(ops, "k", "s", "n", 10).collect()}
     assert got == {("a", 1): (0, 0), ("a", 2): (0, 0), ("a", 3): (1, 413), ("a", 4): (2, 0), ("b", 1): (0, 0)}
+
+
+def test_scalars_over_all_rows(spark, tmp_path):
+    import unicodedata
+    from urllib.parse import urljoin
+
+    from larkspan import catalogue
+
+    catalogue.load()
+
+    def tokens(text):
+        n, inside = 0, False
+        for x in text:
+            wide = unicodedata.name(x, "").startswith(("CJK UNIFIED", "HIRAGANA", "KATAKANA LETTER", "HANGUL"))
+            word = not wide and unicodedata.category(x)[0] == "L" or unicodedata.category(x) == "Nd"
+            n += (word and not inside) or (not word and not x.isspace())
+            inside = word
+        return n
+
+    texts = ["plain text, 2 marks.", "漢字abcひらカナ한글 x", "a\u00a0b\u3000c\u2028d", "½ Ⅳ naïve é", "", None]
+    titles = ["a \\ b", None, '"q"', "12", "x --> y", "NOTE <b>z</b>\nsaid"]
+    rows = [(i, t, s, f"https://user{i}@host.test/a/b") for i, (t, s) in enumerate(zip(texts, titles))]
+    spark.createDataFrame(rows, "doc_id long, text string, title string, url string").write.parquet(f"{tmp_path}/documents.parquet")
+    saved = spark.createDataFrame([(i, str(i), u, s, 0, 1, None) for i, _, s, u in rows], "rec_id long, id string, url string, title string, type int, updated long, ingested_at timestamp")
+    saved.write.parquet(f"{tmp_path}/indexed_docs.parquet")
+    got = lambda name: {r[0]: r[1] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("t08_embedding_tokens_all") == {i: tokens(t) for i, t in enumerate(texts) if t is not None}
+    assert got("w16_csv_fields_all") == {i: '"' + (s or "").replace('"', '""') + '"' for i, s in enumerate(titles)}
+    assert got("c05_resolved_link_all") == {i: urljoin(u, "/about") for i, _, _, u in rows}
+    assert got("c15_subtitles_all") == {0: "a \\ b", 1: None, 2: '"q"', 3: "", 4: "", 5: "said"}
