@@ -107,14 +107,18 @@ entry("s16_browser_distinct", BROWSER)(lambda spark, d: imports.browser_history(
 entry("s17_browser_counts", f"SELECT skipped, count(*) AS n FROM ({BROWSER}) GROUP BY 1")(lambda spark, d: imports.browser_history(_visits(spark, d), "webkit", 2, 1717200000, ["velmora", r"\.test/"]).groupBy("skipped").agg(F.count("*").alias("n")))
 
 
-def _records(spark, d):
+def _records(spark, d, most=None):
     doc = table(spark, d, "documents")
-    return doc.select(F.to_json(F.struct("url", "title", F.substring("text", 1, 80).alias("description"), F.substring("text", 1, 80).alias("notes"), F.array("lang", F.lit(" "), "lang").alias("tag_names"), F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_added")), {"ignoreNullFields": "false"}).alias("value"))
+    text = F.substring("text", 1, most) if most else F.col("text")
+    return doc.select(F.to_json(F.struct("url", "title", text.alias("description"), text.alias("notes"), F.array("lang", F.lit(" "), "lang").alias("tag_names"), F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_added")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 BOOKMARKS = """SELECT trim(url) AS url, coalesce(nullif(trim(title), ''), trim(url)) AS title, coalesce(regexp_replace(substring(text, 1, 80), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '') AS text,
   floor(epoch(added_at))::BIGINT AS updated FROM documents WHERE nullif(trim(url), '') IS NOT NULL"""
-entry("m03_bookmark_documents", BOOKMARKS)(lambda spark, d: imports.bookmarks(_records(spark, d), "linkding").select("url", "title", "text", "updated"))
+entry("m03_bookmark_documents", BOOKMARKS)(lambda spark, d: imports.bookmarks(_records(spark, d, 80), "linkding").select("url", "title", "text", "updated"))
+WHOLE_BOOKMARKS = """SELECT trim(url) AS url, coalesce(nullif(trim(title), ''), trim(url)) AS title, coalesce(regexp_replace(text, '^[\\s\\p{Z}\\x{85}\\x{0B}]+|[\\s\\p{Z}\\x{85}\\x{0B}]+$', '', 'g'), '') AS text,
+  floor(epoch(added_at))::BIGINT AS updated FROM documents WHERE nullif(trim(url), '') IS NOT NULL"""
+entry("m03_bookmark_documents_whole", WHOLE_BOOKMARKS)(lambda spark, d: imports.bookmarks(_records(spark, d), "linkding").select("url", "title", "text", "updated"))
 entry("s18_bookmark_sources", "SELECT 'linkding' AS source, count(*) AS n FROM documents WHERE nullif(trim(url), '') IS NOT NULL")(lambda spark, d: imports.bookmarks(_records(spark, d), "linkding").groupBy(F.try_element_at("metadata", F.lit("source")).alias("source")).agg(F.count("*").alias("n")))
 entry("s19_high_water", "SELECT coalesce(max(updated), 0) AS since FROM corpus WHERE metadata['source'] = 'rss'", "corpus")(lambda spark, d: imports.high_water(corpus(spark, d), "rss"))
 entry("s20_url_list", "SELECT DISTINCT trim(url) AS url FROM documents WHERE trim(url) <> ''")(lambda spark, d: imports.url_list(table(spark, d, "documents").select(F.concat(F.lit("  "), "url").alias("value"))))

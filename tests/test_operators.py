@@ -230,3 +230,12 @@ def test_scalars_over_all_rows(spark, tmp_path):
     assert got("w16_csv_fields_all") == {i: '"' + (s or "").replace('"', '""') + '"' for i, s in enumerate(titles)}
     assert got("c05_resolved_link_all") == {i: urljoin(u, "/about") for i, _, _, u in rows}
     assert got("c15_subtitles_all") == {0: "a \\ b", 1: None, 2: '"q"', 3: "", 4: "", 5: "said"}
+
+
+def test_bookmarks_keep_whole_texts(spark, data):
+    from larkspan import catalogue
+
+    catalogue.load()
+    got = catalogue.QUERIES["m03_bookmark_documents_whole"](spark, data).selectExpr("max(length(text)) as n").first()["n"]
+    want = spark.read.parquet(f"{data}/documents.parquet").filter("trim(url) <> ''").select(F.max(F.length(T.stripped(F.col("text")))).alias("n")).first()["n"]
+    assert got == want > 80
