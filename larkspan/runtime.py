@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
@@ -14,19 +16,55 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+def is_local(sc) -> bool:
+    """Whether driver and executors are one machine's processes, so that a folder of this machine is shared by all."""
+    return sc.master == "local" or sc.master.startswith("local[")
+
+
+def shared_folder(sc) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only in local mode one of our own is made where
+    that setting is absent; a cluster without it is an error, as its executors share no folder of this machine."""
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not is_local(sc):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="larkspan-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def archive() -> bytes:
+    """The package's sources as a zip, built in memory: nothing is compiled into the installed tree."""
+    package, out = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package known to the Python workers, once for a session: in local mode where they wouldn't find it by
-    themselves, on a cluster always. Spark hands the archive to every executor, also to one that comes later."""
+    themselves, on a cluster always. Spark hands the archive to every executor, also to one that comes later; there it
+    lies in the shared folder."""
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parent.parent)
     if getattr(sc, "_larkspan_shipped", False):
         return
     found = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root
-    if not (found and sc.master.startswith("local[")):
-        archive = Path(tempfile.mkdtemp(prefix="larkspan-")) / "larkspan.zip"
-        with zipfile.PyZipFile(str(archive), "w") as z:
-            z.writepy(str(Path(root) / "larkspan"))
-        sc.addPyFile(str(archive))
+    if not (found and is_local(sc)):
+        raw = archive()
+        name = f"larkspan-{hashlib.sha256(raw).hexdigest()[:12]}.zip"
+        if is_local(sc):
+            at = str(Path(tempfile.mkdtemp(prefix="larkspan-")) / name)
+            Path(at).write_bytes(raw)
+        else:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(sc)}/{name}")
+            stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+            stream.write(bytearray(raw))
+            stream.close()
+            at = str(path.toString())
+        sc.addPyFile(at)
     sc._larkspan_shipped = True
 
 
@@ -35,14 +73,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns a frame that reads it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is made only
-    where that setting is absent, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspan-"))
+    """Writes ``df`` to the shared checkpoint folder and returns a frame that reads it back."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
@@ -55,17 +87,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -
     return F.broadcast(df) if n <= limit else df
 
 
-#: Planned bytes for each core (of the columns read, by the optimiser, which takes texts for short) under which a scan
-#: counts as small.
-SMALL_SCAN = 1 << 20
+#: Session setting: into how many partitions costly maps spread what they scan. Unset, a scan stays as it is.
+SPREAD = "spark.larkspan.spread"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores if its planned size is small (a few files, maybe only one split), for work that costs far
-    more than moving those rows. Larger inputs stay as they are scanned. Nothing runs to find out."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if planned <= cores * SMALL_SCAN else df
+    """``df`` in as many partitions as the caller's setting ``SPREAD`` names, for a session whose few files are only a
+    split or two while the work costs far more than moving their rows. Without the setting nothing is moved, whatever
+    the input's size."""
+    n = df.sparkSession.conf.get(SPREAD, "")
+    return df.repartition(int(n), key) if n else df
 
 
 def default_parallelism(df: DataFrame) -> int:
