@@ -156,10 +156,10 @@ scalar("v04_distance_hamming", lambda a, b: V.hamming_distance(V.quantize_binary
 scalar("v05_length", lambda a, b: V.dimension(a), "SELECT vec_id, len(embedding)::INTEGER AS value FROM embeddings")
 scalar("v06_type", lambda a, b: V.element_type(a), "SELECT vec_id, 'float32' AS value FROM embeddings")
 scalar("v07_text_round_trip", lambda a, b: R(F.aggregate(V.from_text(V.to_text(a)), F.lit(0.0), lambda s, x: s + x)), "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS value FROM embeddings")
-scalar("v08_add", lambda a, b: F.transform(V.add(a.cast("array<double>"), b), R), f"SELECT vec_id, [round(a[i] + b[i], 6) FOR i IN range(1, 65)] AS value {PAIRED}")
-scalar("v08_subtract", lambda a, b: F.transform(V.subtract(a.cast("array<double>"), b), R), f"SELECT vec_id, [round(a[i] - b[i], 6) FOR i IN range(1, 65)] AS value {PAIRED}")
+scalar("v08_add", lambda a, b: V.rounded(V.add(a.cast("array<double>"), b)), f"SELECT vec_id, [round(a[i] + b[i], 6) FOR i IN range(1, 65)] AS value {PAIRED}")
+scalar("v08_subtract", lambda a, b: V.rounded(V.subtract(a.cast("array<double>"), b)), f"SELECT vec_id, [round(a[i] - b[i], 6) FOR i IN range(1, 65)] AS value {PAIRED}")
 scalar("v09_slice", lambda a, b: V.part(a, 8, 16), "SELECT vec_id, embedding[9:16] AS value FROM embeddings")
-scalar("v10_normalize", lambda a, b: F.transform(V.normalize(a), R), f"SELECT vec_id, [round(x / sqrt(list_dot_product(a, a)), 6) FOR x IN a] AS value {PAIRED}")
+scalar("v10_normalize", lambda a, b: V.rounded(V.normalize(a)), f"SELECT vec_id, [round(x / sqrt(list_dot_product(a, a)), 6) FOR x IN a] AS value {PAIRED}")
 scalar("v11_quantize_binary", lambda a, b: V.quantize_binary(a), f"SELECT vec_id, [list_sum([CASE WHEN a[i * 8 + j + 1] > 0 THEN (1 << j) ELSE 0 END FOR j IN range(8)])::SMALLINT FOR i IN range(8)] AS value {PAIRED}")
 scalar("v12_quantize_int8", lambda a, b: V.quantize_int8(a), f"SELECT vec_id, [trunc((x + 1) / (2.0 / 255)::DOUBLE - 128)::TINYINT FOR x IN a] AS value {PAIRED}")
 scalar("v13_from_text", lambda a, b: V.dimension(V.from_text(V.to_text(a))), "SELECT vec_id, len(embedding)::INTEGER AS value FROM embeddings")

@@ -73,6 +73,17 @@ def subtract(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x - y))
 
 
+def rounded(a: Column, digits: int = 6) -> Column:
+    """Elements rounded as SQL on doubles does it: scaled, to the nearest integer, halves away from zero. What is rounded
+    to zero keeps its sign (-0.0), which ``F.round`` drops."""
+
+    def one(x: Column) -> Column:
+        r = F.round(x * 10.0**digits) / 10.0**digits
+        return F.when(r == 0, x * 0.0).otherwise(r)
+
+    return F.transform(a.cast("array<double>"), one)
+
+
 def part(a: Column, start: int, end: int) -> Column:
     """Elements ``start`` to ``end`` (exclusive), counted from 0."""
     if not 0 <= start < end:

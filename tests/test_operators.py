@@ -239,3 +239,21 @@ def test_bookmarks_keep_whole_texts(spark, data):
     got = catalogue.QUERIES["m03_bookmark_documents_whole"](spark, data).selectExpr("max(length(text)) as n").first()["n"]
     want = spark.read.parquet(f"{data}/documents.parquet").filter("trim(url) <> ''").select(F.max(F.length(T.stripped(F.col("text")))).alias("n")).first()["n"]
     assert got == want > 80
+
+
+@pytest.mark.parametrize("name", ["v08_add", "v08_subtract", "v10_normalize"])
+def test_vectors_are_rounded_as_in_sql(name, spark, tmp_path):
+    import duckdb
+
+    from larkspan import catalogue
+
+    catalogue.load()
+    b = [(-1) ** i * i / 8 for i in range(64)]
+    shift = [3e-7, -3e-7, 0.0, 1e30, 0.1234565, 1.5e-6, float("nan"), float("inf")]
+    rows = [(0, b), (1, [x + shift[i % 8] for i, x in enumerate(b)]), (2, [-x + shift[i % 8] for i, x in enumerate(b)]), (3, [x + shift[i % 3] for i, x in enumerate(b)]), (4, [-1e-8] * 63 + [-100.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {i: list(map(repr, v)) for i, v in con.execute(f"SELECT vec_id, value FROM ({catalogue.SQL[name]})").fetchall()}
+    assert {r["vec_id"]: list(map(repr, r["value"])) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} == want
+    assert "-0.0" in str(want)
