@@ -391,3 +391,24 @@ def test_set_phrases_are_neutral():
     terms = subjects.learn(["science"], docs)
     lex = subjects.Lexicon(["science"], terms)
     assert lex.score(subjects.sentences("a level playing field here")).sum() == 0 and lex.score(subjects.sentences("the magnetic field here")).sum() > 0
+
+
+def test_subjects_are_counted_over_all_documents(spark):
+    names = ["cooking", "law"]
+    rows = [(f"the broth and the garlic of pot {'abcdefgh'[i % 8]}", ["cooking"]) for i in range(30)] + [(f"the verdict of court {'abcdefgh'[i % 8]} with zorbal", ["law"]) for i in range(20)] + [("a verdict on broth", ["cooking", "law", "other"]), ("", []), ("so it goes", [])]
+    marked = spark.createDataFrame(rows, "t string, ls array<string>").repartition(5)
+    want = subjects.learn(names, [(t, {names.index(x) for x in ls if x in names}) for t, ls in rows])
+    for room in (1, 20, 10**6):
+        assert subjects.chosen_terms(subjects.counted(marked, names, room=room), names) == want
+    assert "zorbal" in want
+    # a word of three documents among 12,000 that no label covers
+    docs = spark.range(12_000).selectExpr("id as doc_id", "case when id % 4000 = 7 then 'The court heard the zorbal. The verdict followed the appeal.' else concat('We walked home on day ', id) end as text")
+    labels = spark.createDataFrame([], "doc_id long, subject string")
+    assert "zorbal" in subjects.fit(docs, labels, names).terms
+
+
+def test_subject_thresholds_come_from_all_labels(spark):
+    lex = subjects.Lexicon(["law"], {"court": (0, 0.6), "verdict": (0, 2.2)})
+    known = spark.createDataFrame([("the court", [])] * 90 + [("the verdict", ["law"])] * 60 + [("", ["law", "law"])], "t string, ls array<string>").repartition(4)
+    assert list(subjects.calibrate(lex, known)) == [0.8]
+    assert list(subjects.calibrate(lex, known.limit(0))) == [subjects.USUAL]
